@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-ckpt-"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, for Spark's writers."""
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
@@ -72,4 +81,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return mapping
 
 
-__all__ = ["BLANKS", "connected_components", "cut", "ensure_checkpoint_dir", "read", "sql_words"]
+__all__ = ["BLANKS", "connected_components", "cut", "ensure_checkpoint_dir", "read", "shared_path", "sql_words"]

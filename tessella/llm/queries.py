@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .packing import op4_packing
 from .simhash import op1_simhash
+from .token_files import op3_token_files
 
-QUERIES = {"op1_simhash": op1_simhash}
+QUERIES = {"op1_simhash": op1_simhash, "op3_token_files": op3_token_files, "op4_packing": op4_packing}
 
 ORACLES: dict[str, str] = {}
