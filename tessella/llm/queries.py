@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .packing import op4_packing
+from .recompress import op5_substring_dedup
 from .simhash import op1_simhash
 from .token_files import op3_token_files
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_token_files": op3_token_files, "op4_packing": op4_packing}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_token_files": op3_token_files,
+    "op4_packing": op4_packing,
+    "op5_substring_dedup": op5_substring_dedup,
+}
 
 ORACLES: dict[str, str] = {}
