@@ -27,6 +27,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written to the shared folder and read back: like ``cut``, in columns."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
@@ -81,4 +88,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return mapping
 
 
-__all__ = ["BLANKS", "connected_components", "cut", "ensure_checkpoint_dir", "read", "shared_path", "sql_words"]
+__all__ = ["BLANKS", "connected_components", "cut", "ensure_checkpoint_dir", "read", "shared_path", "sql_words", "store"]

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import read, store
 
 WINDOW = 50
 ROUNDS = 4
@@ -257,18 +257,18 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> Data
     """
     new = ["n_words", "n_removed", "kept_sha256", "kept_text"]
     docs = docs.drop(*new)
-    own = spans(docs, window)
-    firsts = own.groupBy("sym", "span").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    # symbols in one document only can't be repeats; those with one span are settled by it
-    firsts = cut(firsts)
-    wide = firsts.groupBy("sym").agg(
-        F.count("*").alias("n_spans"), F.min("least").alias("lo"), F.max("most").alias("hi")
-    ).where("lo < hi")
-    told = firsts.join(wide, "sym").select("sym", "span", "least", "most", (F.col("n_spans") > 1).alias("open"), "lo")
+    own = store(spans(docs, window), "spans")
+    # symbols of one document only can't be repeats; where all spans agree, they settle it
+    shared = own.groupBy("sym").agg(
+        F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("span") < F.max("span")).alias("open")
+    ).where("lo < hi").select("sym", "open")
+    own = store(own.join(shared, "sym"), "shared-spans")
+    firsts = own.groupBy("sym", "span").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("open").alias("open"))
     # copies: every document but the first; edges: the first document of each span
-    late = told.where("least < most")
-    seen = own.join(late.select("sym", "span", "least"), ["sym", "span"]).where("doc > least").select("doc", "span", "sym", F.lit(False).alias("open"))
-    todo = told.where("open").select(F.col("least").alias("doc"), "span", "sym", F.lit(True).alias("open"))
+    late = firsts.where("least < most")
+    seen = own.drop("open").join(late.select("sym", "span", "least"), ["sym", "span"]).where("doc > least")
+    seen = seen.select("doc", "span", "sym", F.lit(False).alias("open"))
+    todo = firsts.where("open").select(F.col("least").alias("doc"), "span", "sym", F.lit(True).alias("open"))
     facts = seen.unionByName(todo).groupBy("doc").agg(F.collect_list(F.struct("span", "sym", "open")).alias("facts"))
     facts = facts.select("doc", *(F.col(f"facts.{c}").alias(f"_{c}") for c in ("span", "sym", "open")))
 
@@ -290,7 +290,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> Data
             t = pa.Table.from_batches([b])
             facts_of = [t.column(c).to_pylist() for c in ("_span", "_sym", "_open")]
             for rows, words in _chunks([], t.column("text").to_pylist()):
-                p = Parse(words, window)
+                # only documents with facts are parsed again
+                p = Parse([w if facts_of[0][r] else [] for r, w in zip(rows, words, strict=True)], window)
                 parts = np.searchsorted(p.span_doc, np.arange(len(rows) + 1)) if len(p.key) else np.zeros(len(rows) + 1, int)
                 cols: list[list] = [[] for _ in range(9)]
                 for k, (row, own_words) in enumerate(zip(rows, words, strict=True)):
@@ -320,7 +321,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> Data
                 columns = [piece.column(names.index(c)).combine_chunks() for c in passed]
                 yield pa.RecordBatch.from_arrays(columns + arrays, names=passed + new + [x.split()[0] for x in extra.split(", ")])
 
-    settled = cut(joined.mapInArrow(settle, f"{schema}, {extra}"))
+    settled = store(joined.mapInArrow(settle, f"{schema}, {extra}"), "settled")
     edges = settled.where("_todo is not null").select(
         F.col("doc_id").cast("long").alias("doc"), F.explode(F.arrays_zip("_keys", "_digests")).alias("x")
     ).select("doc", F.col("x._keys").alias("k"), F.col("x._digests").alias("d"))
