@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .packing import op4_packing
+from .quality_rules import SQL as QUALITY_RULES_SQL
+from .quality_rules import op10_quality_rules
 from .recompress import op5_substring_dedup
 from .simhash import op1_simhash
 from .token_files import op3_token_files
@@ -12,6 +14,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_quality_rules": QUALITY_RULES_SQL}
