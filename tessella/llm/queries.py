@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from .gam import op7_quality_classifier
 from .packing import op4_packing
 from .quality_rules import SQL as QUALITY_RULES_SQL
 from .quality_rules import op10_quality_rules
 from .recompress import op5_substring_dedup
 from .simhash import op1_simhash
 from .token_files import op3_token_files
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality_classifier": op7_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
