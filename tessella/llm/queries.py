@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .gam import op7_quality_classifier
 from .mixing import op9_mixing
+from .nn_descent import op8_nearest
 from .packing import op4_packing
 from .quality_rules import SQL as QUALITY_RULES_SQL
 from .quality_rules import op10_quality_rules
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_nearest": op8_nearest,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
