@@ -1 +1 @@
-
+"""Column functions: tiles, georeferencing, nodata, pixels."""

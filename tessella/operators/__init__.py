@@ -1 +1 @@
-
+"""Relational operators: coverage, sampling, rendering."""

@@ -1 +1 @@
-
+"""Whole jobs and the catalog of queries."""

@@ -1 +1 @@
-
+"""The engine has no streams: its batches are partitions of a sort (see plans.convert)."""
