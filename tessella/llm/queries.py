@@ -10,11 +10,13 @@ from .quality_rules import SQL as QUALITY_RULES_SQL
 from .quality_rules import op10_quality_rules
 from .recompress import op5_substring_dedup
 from .simhash import op1_simhash
+from .stupid_backoff import op2_lm_scores
 from .token_files import op3_token_files
 from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_lm_scores": op2_lm_scores,
     "op3_token_files": op3_token_files,
     "op4_packing": op4_packing,
     "op5_substring_dedup": op5_substring_dedup,
