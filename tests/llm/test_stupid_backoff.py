@@ -5,7 +5,7 @@ from collections import Counter
 from tessella.llm import stupid_backoff as sb
 
 
-def plain(texts):
+def plain(texts, order):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     c = [Counter() for _ in range(3)]
     for w in words:
@@ -19,13 +19,13 @@ def plain(texts):
         n = c[len(gram) - 1][gram]
         return math.log(n / c[len(gram) - 2][gram[:-1]]) if n >= 2 else math.log(0.4) + s(gram[1:])
 
-    return [(len(w), sum(s(tuple(w[max(0, i - 2) : i + 1])) for i in range(len(w))) if w else None) for w in words]
+    return [(len(w), sum(s(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w))) if w else None) for w in words]
 
 
-def check(spark, rows):
+def check(spark, rows, order=3):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, chunk int")
-    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.log_score, r.score) for r in sb.score_documents(df).collect()), key=str)
-    want = sorted(((i is None, i or 0, n, s) for (i, _), (n, s) in zip(rows, plain([t for _, t in rows]), strict=True)), key=str)
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.log_score, r.score) for r in sb.score_documents(df, order).collect()), key=str)
+    want = sorted(((i is None, i or 0, n, s) for (i, _), (n, s) in zip(rows, plain([t for _, t in rows], order), strict=True)), key=str)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
         assert g[:3] == w[:3]
@@ -37,7 +37,8 @@ def check(spark, rows):
 
 def test_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
-    check(spark, [tuple(r) for r in docs])
+    for order in (2, 3):
+        check(spark, [tuple(r) for r in docs], order)
 
 
 def test_edges(spark):
