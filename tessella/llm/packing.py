@@ -34,7 +34,8 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 class Packer:
     """Pieces are (doc, start, ids, doc_tokens); ids are an array of unsigned 32-bit ints."""
 
-    def __init__(self, capacity: int, first_sequence: int = 0):
+    def __init__(self, capacity: int, first_sequence: int = 0, with_ids: bool = True):
+        self.with_ids = with_ids
         self.capacity, self.next = capacity, first_sequence
         # open windows of each level; half a window less at the top makes filling one count
         # as losing a square without gaining one
@@ -46,7 +47,9 @@ class Packer:
     def close(self, pieces: list) -> None:
         offset = 0
         for doc, start, ids, total in pieces:
-            self.out.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, self.next, offset, ids.tobytes()))
+            raw = ids.tobytes()
+            kept = raw if self.with_ids else None
+            self.out.append((doc, start, len(ids), zlib.crc32(raw), total, self.next, offset, kept))
             offset += len(ids)
         self.next += 1
 
@@ -109,7 +112,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, keeps_blanks)
-        packer = Packer(capacity, TaskContext.get().partitionId() << 36)
+        packer = Packer(capacity, TaskContext.get().partitionId() << 36, with_ids)
 
         def given() -> pa.RecordBatch:
             cols = list(zip(*packer.out, strict=True)) if packer.out else [[]] * 8

@@ -44,7 +44,7 @@ _ODD = _U(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WORDS_AT_ONCE = 60_000
-_CACHE = 500_000
+_CACHE = 150_000
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -230,6 +230,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     rec = rec[np.lexsort(rec.T)]
                     rec = rec[np.concatenate(([True], (rec[1:] != rec[:-1]).any(axis=1)))]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in rec.T], names=["sym", "span", "doc"])
+        _NAMES.clear()  # workers are reused by other tasks
 
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     return known.mapInArrow(run, "sym long, span long, doc long")

@@ -45,7 +45,7 @@ CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
 #: Bits of a hash beyond those that number the corpus's n-grams: one in 2^20 is mistaken.
 SPARE_BITS = 20
-_CACHE = 500_000
+_CACHE = 150_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
