@@ -24,7 +24,7 @@ _WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\t-\r !-&(-/:-@\[-`{-~])|[^\t-\r ]+"
 _DROPPING = re.compile(_WORD)
 _KEEPING = re.compile(rf"[\t-\r ]*(?:{_WORD})|[\t-\r ]+")
 #: Bound of the cache of one worker, in segments; the older half goes first.
-CACHE = 600_000
+CACHE = 800_000
 LONG_SEGMENT = 64
 
 
