@@ -134,8 +134,11 @@ def _decode(frame: bytes, press: zstandard.ZstdDecompressor, width: int) -> np.n
     return np.frombuffer(press.decompress(frame), "<u2" if width == 2 else "<u4").astype("<u4")
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary, ids_crc32) of every document, from the files."""
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids binary) of every document, from the files.
+
+    Without ``with_ids`` the ids are read and summed alike, but not handed to Spark.
+    """
     digest, raw = _dictionary(spark, path)
     table = spark.read.schema(_FIELDS).parquet(f"{path}/segments")
     totals = (
@@ -156,18 +159,19 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 o, sizes = r["offsets"], r["n_tokens"]
                 ids = [_decode(r["payload"][x:y], press, r["width"]).tobytes() for x, y in zip(o, o[1:], strict=False)]
                 starts = base[r["shard"]] + r["shard_start"] + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(r["doc_ids"], pa.int64()),
-                        pa.array(starts.astype(np.int64)),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = [
+                    pa.array(r["doc_ids"], pa.int64()),
+                    pa.array(starts.astype(np.int64)),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                ]
+                if with_ids:
+                    columns.append(pa.array(ids, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    fields = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    names = [f.split()[0] for f in fields.split(", ")]
+    return table.mapInArrow(run, fields)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
@@ -194,4 +198,4 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = shared_path(spark, "token-files")
     write_token_files(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_token_files(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")

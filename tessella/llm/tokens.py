@@ -3,7 +3,8 @@
 Both vocabularies split a text before any run of ASCII blanks, and after letters that
 ASCII punctuation (but no apostrophe) follows. What stands between such places encodes
 alike wherever it stands: it is encoded once per worker, and the ids are joined as
-bytes. Texts with other white space or with the opening of a special token are encoded
+bytes. Where white space is dropped, words between blanks are looked up first, and only
+unknown ones are split further. Texts with other white space or with the opening of a special token are encoded
 in one piece, so the ids are always those of the whole text.
 """
 
@@ -17,13 +18,18 @@ from itertools import islice
 import numpy as np
 
 #: White space other than the ASCII blanks, and the opening of special tokens.
-_WHOLE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff]|<[|]")
+_WHOLE = (
+    "<|", *map(chr, range(0x1C, 0x20)), *"\x85\xa0\u1680\u180e", *map(chr, range(0x2000, 0x2010)),
+    *"\u2028\u2029\u202f\u205f\u2060\u3000\ufeff",
+)
+_WHOLE_ASCII = _WHOLE[:5]
 #: Characters that lower-casing might treat by context, or to several characters.
 _FOLDED_APART = re.compile("[\\u0130\\u0180-\\U0010ffff]")
 _WORD = r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\t-\r !-&(-/:-@\[-`{-~])|[^\t-\r ]+"
 _DROPPING = re.compile(_WORD)
 _KEEPING = re.compile(rf"[\t-\r ]*(?:{_WORD})|[\t-\r ]+")
-#: Bound of the cache of one worker, in segments; the older half goes first.
+#: Bound of the cache of one worker, in segments. Words of several pieces go first, as
+#: they are cheap to join again, then the older half.
 CACHE = 800_000
 LONG_SEGMENT = 64
 
@@ -41,38 +47,65 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.keeps_blanks = keeps_blanks
         self.cache: dict[str, bytes] = {}
+        self.joined: list[str] = []
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def segments(self, text: str) -> list[str] | None:
-        if _WHOLE.search(text):
-            return None
+        for x in _WHOLE_ASCII if text.isascii() else _WHOLE:
+            if x in text:
+                return None
         if self.keeps_blanks:
             return _KEEPING.findall(text)
-        return _DROPPING.findall(text if _FOLDED_APART.search(text) else text.lower())
+        return (text if _folds_apart(text) else text.lower()).split()
+
+    def learn(self, new: set[str]) -> set[str]:
+        """Put segments in the cache; returns those too long to keep after this batch."""
+        cache = self.cache
+        joined: dict[str, list[str]] = {}
+        fine = new
+        if not self.keeps_blanks:
+            split = [(w, _DROPPING.findall(w)) for w in new]
+            joined = {w: p for w, p in split if len(p) > 1}
+            fine = set().union(*(p for _, p in split)).difference(cache)
+        fine = list(fine)
+        encoded = self.tok.encode_batch_fast(fine, add_special_tokens=False)
+        cache.update((p, array("I", e.ids).tobytes()) for p, e in zip(fine, encoded, strict=True))
+        cache.update([(w, b"".join(map(cache.__getitem__, p))) for w, p in joined.items()])
+        self.joined.extend(w for w in joined if len(w) <= LONG_SEGMENT)
+        return {p for p in (*fine, *joined) if len(p) > LONG_SEGMENT}
 
     def many(self, texts: list[str]) -> list[bytes]:
         """For a few hundred texts at a time: their segments are held together."""
         cache = self.cache
         split = [self.segments(t) for t in texts]
-        new = list({p for parts in split if parts for p in parts if p not in cache})
-        if new:
-            encoded = self.tok.encode_batch_fast(new, add_special_tokens=False)
-            cache.update((p, array("I", e.ids).tobytes()) for p, e in zip(new, encoded, strict=True))
+        new = set().union(*(parts for parts in split if parts)).difference(cache)
+        passing = self.learn(new) if new else ()
         get = cache.__getitem__
         out = [
             self.whole(t) if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, split, strict=True)
         ]
-        for p in new:
-            if len(p) > LONG_SEGMENT:
-                del cache[p]
+        for p in passing:
+            del cache[p]
         if len(cache) > CACHE:
-            for p in list(islice(cache, CACHE // 2)):
+            for p in self.joined:
                 del cache[p]
+            self.joined.clear()
+            if len(cache) > CACHE // 4 * 3:
+                for p in list(islice(cache, CACHE // 2)):
+                    del cache[p]
         return out
 
 
+def _folds_apart(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _FOLDED_APART.search(text) is not None
+    return False
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
