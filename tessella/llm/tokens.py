@@ -30,7 +30,7 @@ _DROPPING = re.compile(_WORD)
 _KEEPING = re.compile(rf"[\t-\r ]*(?:{_WORD})|[\t-\r ]+")
 #: Bound of the cache of one worker, in segments. Words of several pieces go first, as
 #: they are cheap to join again, then the older half.
-CACHE = 800_000
+CACHE = 600_000
 LONG_SEGMENT = 64
 
 
