@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, packing, quality_rules, recompress, simhash
+from tessella.llm import mixing, near_sets, packing, quality_rules, recompress
 from tessella.llm.common import read, shared_path
 
 
@@ -21,8 +21,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate class."""
-    return simhash.keep_one(docs)
+    """The document of smallest doc_id of each near-duplicate class: five-word
+    shingles, similarity 0.8."""
+    return near_sets.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
