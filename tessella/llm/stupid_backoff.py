@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 #: Words of the longest n-grams.
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
 #: Bytes of text a chunk, and packed bytes a bucket, should hold.

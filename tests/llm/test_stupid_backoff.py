@@ -45,3 +45,11 @@ def test_edges(spark):
     check(spark, [(1, None), (2, ""), (3, "one"), (None, "a b a b a"), (4, "a b a b a"), (4, "a b a b a"), (5, "x y " * 40000), (6, " \n")])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert sb.score_documents(empty).collect() == []
+
+
+def test_query_counts_triples(spark, tmp_path):
+    rows = [(1, "a b c d a b c"), (2, "x b c e b c d"), (3, "a b c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_score for r in sb.op2_lm_scores(spark, str(tmp_path)).collect()}
+    for (i, _), (_, s) in zip(rows, plain([t for _, t in rows], 3), strict=True):
+        assert abs(got[i] - s) < 1e-6 * max(1, abs(s))
