@@ -13,10 +13,10 @@ a document does not vouch for itself; words are counted as they are.
 
 For 100 TB the exchange, not the arithmetic, decides. Documents are dealt into chunks by
 their id; a chunk lists each of its different n-grams once, with its count, packed into
-one row per hash bucket: sorted hashes as truncated differences. A bucket adds up
+one row per hash bucket: sorted 64-bit hashes as truncated differences. A bucket adds up
 the counts of all chunks and answers each in the order of its list, with frequent
-n-grams already summed up, so no n-gram is hot. Chunk and bucket numbers, and the bits of
-a hash, grow with the input.
+n-grams already summed up, so no n-gram is hot. Chunk and bucket numbers grow with the
+input. N-grams are told apart by 64-bit hashes.
 
 Edge cases: null, empty and blank texts have no words and score null; repeated rows
 count as often as they stand; rows with a null id are counted and scored too; an empty
@@ -43,8 +43,6 @@ MIN_COUNT = 2
 #: Bytes of text a chunk, and packed bytes a bucket, should hold.
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
-#: Bits of a hash beyond those that number the corpus's n-grams: one in 2^20 is mistaken.
-SPARE_BITS = 20
 _CACHE = 150_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,10 +106,8 @@ def _read_counts(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<u8").astype(np.int64)
 
 
-def _listed(texts: list[str | None], order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _listed(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     per_order, sizes = grams(texts, order)
-    # one bit tells a missing n-gram (zero) from any other
-    per_order = [np.where(g != 0, (g >> np.uint64(64 - bits)) | np.uint64(1), np.uint64(0)) for g in per_order]
     flat = np.concatenate(per_order)
     names, counts = np.unique(flat[flat != 0], return_counts=True)
     return per_order, sizes, names, counts
@@ -127,14 +123,13 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
     bits = max(3, int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
     n_chunks = max(spark.sparkContext.defaultParallelism, int(total // CHUNK_BYTES) + 1)
     n_buckets = 1 << bits
-    name_bits = int(min(64, np.ceil(np.log2(max(2, total * order / 6))) + SPARE_BITS + 1))
-    bounds = np.arange(n_buckets, dtype=np.uint64) << np.uint64(name_bits - bits)
+    bounds = np.arange(n_buckets, dtype=np.uint64) << np.uint64(64 - bits)
     # long documents are dealt like others; equal ids with other text too
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int")
     dealt = docs.withColumn("chunk", chunk)
 
     def lists(key, t):
-        _, _, names, counts = _listed(t.column("text").to_pylist(), order, name_bits)
+        _, _, names, counts = _listed(t.column("text").to_pylist(), order)
         edges = np.searchsorted(names, bounds)
         edges = np.append(edges, len(names))
         rows = [(b, x, y) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
@@ -155,7 +150,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "answer": pa.array(answers, pa.binary())})
 
     def score(key, t, answers):
-        per_order, sizes, names, _ = _listed(t.column("text").to_pylist(), order, name_bits)
+        per_order, sizes, names, _ = _listed(t.column("text").to_pylist(), order)
         edges = np.searchsorted(names, bounds)
         edges = np.append(edges, len(names))
         known = np.zeros(len(names), np.int64)

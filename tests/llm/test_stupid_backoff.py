@@ -53,3 +53,14 @@ def test_query_counts_triples(spark, tmp_path):
     got = {r.doc_id: r.log_score for r in sb.op2_lm_scores(spark, str(tmp_path)).collect()}
     for (i, _), (_, s) in zip(rows, plain([t for _, t in rows], 3), strict=True):
         assert abs(got[i] - s) < 1e-6 * max(1, abs(s))
+
+
+def test_names_that_begin_alike_are_told_apart(spark):
+    seen = {}
+    for i in range(10**6):
+        word = f"w{i}"
+        top = int(sb.grams([word], 1)[0][0][0]) >> 40
+        if top in seen:
+            break
+        seen[top] = word
+    check(spark, [(1, f"{word} x"), (2, f"{seen[top]} y"), (3, word)])
