@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,17 @@ from pyspark.sql import functions as F
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+#: Folders written by ``store`` in this process and not yet deleted.
+_STORED: list[str] = []
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where the session names none (tests)."""
+    """Set a checkpoint folder where the session names none: only a session without other
+    machines (tests) gets a temporary one, as executors of a cluster would not see it."""
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir") is None and sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-ckpt-"))
 
 
@@ -30,8 +38,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder and read back: like ``cut``, in columns."""
     path = shared_path(df.sparkSession, name)
+    _STORED.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads."""
+    for t in tables:
+        path = getattr(t, "stored_at", None)
+        if path in _STORED:
+            _STORED.remove(path)
+            delete(t.sparkSession, path)
+
+
+def stored() -> list[str]:
+    """A mark for ``discard_since``."""
+    return list(_STORED)
+
+
+def discard_since(spark: SparkSession, mark: list[str]) -> None:
+    """Delete all that was stored since the mark; its results must have been written."""
+    for path in [p for p in _STORED if p not in mark]:
+        _STORED.remove(path)
+        delete(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -88,4 +126,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return mapping
 
 
-__all__ = ["BLANKS", "connected_components", "cut", "ensure_checkpoint_dir", "read", "shared_path", "sql_words", "store"]
+__all__ = [
+    "BLANKS", "connected_components", "cut", "delete", "discard", "discard_since", "ensure_checkpoint_dir", "read", "shared_path",
+    "sql_words", "store", "stored",
+]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .tokens import encoder
+from .tokens import encoder, portions
 
 CAPACITY = 1024
 END_ID = 0
@@ -121,12 +121,12 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays[: len(names)], names=names)
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                for doc, raw in zip(part.column(0).to_pylist(), enc.many(part.column(1).to_pylist()), strict=True):
+            docs_of = b.column(0).to_pylist()
+            for first, texts in portions(b.column(1).to_pylist()):
+                for doc, raw in zip(docs_of[first:], enc.many(texts), strict=False):
                     packer.add(doc, np.frombuffer(raw + end, "<u4"))
-                if len(packer.out) > 5000:
-                    yield given()
+                    if len(packer.out) > 5000:
+                        yield given()
         packer.finish()
         yield given()
 

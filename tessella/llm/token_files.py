@@ -13,7 +13,7 @@ zstandard dictionary and its SHA-256. ``segments`` has rows of about ``SEGMENT``
 A short document is read by pruning to its segment, slicing and decompressing one frame.
 
 Edge cases: null text counts as empty; an empty document has the end id only; null
-doc_ids sort first; repeated rows are kept, ordered by text; an empty table writes no
+doc_ids sort first; rows of one id are kept, ordered by a hash of their text; an empty table writes no
 segments and an empty dictionary; columns other than doc_id and text are not read.
 """
 
@@ -31,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, shared_path
-from .tokens import encoder
+from .tokens import encoder, portions
 
 END_ID = 2
 SEGMENT = 4 << 20
 DICT_BYTES = 64 << 10
-#: Bounds of the sample that the dictionary is trained on: documents, and ids of each.
+#: Bounds of the sample that the dictionary is trained on: documents, and ids in a row from
+#: anywhere in each.
 DICT_DOCS, DICT_IDS = 1000, 2048
 LEVEL = 3
 _FIELDS = (
@@ -50,18 +51,26 @@ def _pack(raw: bytes, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, keeps_blanks: bool, width: int) -> bytes:
-    """A dictionary from a bounded sample: the documents of smallest hash."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text")).limit(DICT_DOCS)
+    """A dictionary from a bounded sample of rows (doc_id, text, h): those of smallest hash.
+
+    Hashes are chosen first, so texts of other documents never leave their partition.
+    """
+    own = docs.select(F.xxhash64("doc_id", "h").alias("key"), "text")
+    keys = sorted({r.key for r in own.select("key").orderBy("key").limit(DICT_DOCS).collect()})
+    sample = own.where(F.col("key").isin(keys)).groupBy("key").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, keeps_blanks)
         for b in batches:
-            ids = enc.many([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_pack(x[: 4 * DICT_IDS], width) for x in ids], pa.binary())], names=["x"]
-            )
-
-    parts = [bytes(r.x) for r in sample.mapInArrow(run, "x binary").collect()]
+            keys = b.column(0).to_pylist()
+            for first, texts in portions(b.column(1).to_pylist()):
+                spans = []
+                for key, raw in zip(keys[first:], enc.many(texts), strict=False):
+                    at = key % max(1, len(raw) // 4 - DICT_IDS + 1)  # anywhere in the array
+                    spans.append(_pack(raw[4 * at : 4 * (at + DICT_IDS)], width))
+                yield pa.RecordBatch.from_arrays([pa.array(spans, pa.binary())], names=["x"])
+
+    parts = sorted(bytes(r.x) for r in sample.mapInArrow(run, "x binary").collect())
     try:
         return zstandard.train_dictionary(DICT_BYTES, [p for p in parts if len(p) >= 8]).as_bytes()
     except zstandard.ZstdError:  # too few or too short samples
@@ -75,6 +84,7 @@ def write_token_files(
     spark = docs.sparkSession
     width = 2 if max(vocab_size, end_id + 1) <= 65536 else 4
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
     raw_dict = train_dictionary(docs, vocabulary, keeps_blanks, width)
     digest = hashlib.sha256(raw_dict).hexdigest()
     spark.createDataFrame([(digest, bytearray(raw_dict))], "dict_hash string, dictionary binary").write.parquet(
@@ -103,10 +113,9 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                texts = part.column(1).to_pylist()
-                for doc, raw in zip(part.column(0).to_pylist(), enc.many(texts), strict=True):
+            docs_of = b.column(0).to_pylist()
+            for start, texts in portions(b.column(1).to_pylist()):
+                for doc, raw in zip(docs_of[start:], enc.many(texts), strict=False):
                     raw += end
                     ids.append(doc)
                     frames.append(press.compress(_pack(raw, width)))
@@ -119,8 +128,9 @@ def write_token_files(
         if ids:
             yield flush()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, _FIELDS).write.parquet(f"{path}/segments")
+    # the text's hash, so that rows of one id need not meet in one shard
+    ordered = docs.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, _FIELDS).write.parquet(f"{path}/segments")
 
 
 def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes]:
