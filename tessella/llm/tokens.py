@@ -33,11 +33,11 @@ _FOLDED_APART = re.compile("[\\u0130\\u0180-\\U0010ffff]")
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 _PART = re.compile(r"[\t-\r ]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?![^\t-\r !-&(-/:-@\[-`{-~])|[^\t-\r ]+)|[\t-\r ]+")
 #: Bound of the table of one worker, in segments (about 60 bytes each).
-CACHE = 2_000_000
+CACHE = 1_500_000
 #: Longer segments, in bytes, are encoded whenever they occur.
 LONG_SEGMENT = 64
 #: Characters of a portion of texts that are encoded together; a longer text is one.
-PORTION = 10 << 20
+PORTION = 4 << 20
 #: Segments that are encoded in one call, whose results take much memory.
 _AT_ONCE = 5000
 _rng = np.random.default_rng(11)
@@ -53,7 +53,7 @@ def digests(segments: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     rows = np.zeros(n * LONG_SEGMENT, np.uint8)
     shift = np.arange(n) * LONG_SEGMENT - (ends[:-1] - ends[0])
     rows[np.repeat(shift, sizes) + np.arange(len(data))] = data
-    words = rows.view(np.uint64).reshape(n, -1)
+    words = rows.view(np.uint64).reshape(n, LONG_SEGMENT // 8)
     out = []
     for odd, add in zip(_ODD, _ADD, strict=True):
         x = words * odd + add

@@ -30,6 +30,22 @@ def test_segments_encode_like_whole_texts(texts, name, blanks):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.many(both)] == want
 
 
+@pytest.mark.parametrize("name,blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_portions_of_odd_make(name, blanks, monkeypatch):
+    from tessella.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE", 6)  # so that segments are forgotten all the time
+    path = public_tokenizers.path(name)
+    tok, enc = Tokenizer.from_file(path), Encoder(path, blanks)
+    long = "q" * 65 + " " + "é" * 40 + " x,y " + "7" * 200
+    for own in [["a,b c.d"], ["a"], [""], [], ["z,z"], ["a,b c.d", "", "e"], [long], [long, "a b", long + "!"], ODD]:
+        want = [e.ids for e in tok.encode_batch(own, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.many(own)] == want
+    texts = ["a" * 10, "b", "c" * tokens.PORTION, "d", "e"]
+    parts = list(tokens.portions(texts))
+    assert [t for _, p in parts for t in p] == texts and [texts[i] for i, _ in parts] == [p[0] for _, p in parts]
+
+
 ROWS = [(7, "b c", 1), (3, None, 2), (None, "x y", 3), (5, "", 4), (5, "", 4), (9, "long " * 30000, 5)] + [
     (100 + i, t, 6) for i, t in enumerate(ODD)
 ]
