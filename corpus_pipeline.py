@@ -9,10 +9,9 @@ texts, repeated rows and empty tables are treated as the operators' docstrings s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessella.llm import mixing, near_sets, packing, quality_rules, recompress
-from tessella.llm.common import read, shared_path
+from tessella.llm.common import delete, discard_since, read, shared_path, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,19 +20,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate class: five-word
-    shingles, similarity 0.8."""
+    """The document of smallest doc_id of each near-duplicate class: five-word shingles,
+    similarity 0.8; candidates from SimHash trees and MinHash keys."""
     return near_sets.keep_one(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand in an earlier one; emptied ones go."""
-    out = recompress.dedup(docs).where("n_removed = 0 or n_removed < n_words")
-    out = out.withColumn("text", F.coalesce("kept_text", "text"))
-    if "n_chars" in docs.columns:
-        length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return recompress.clean(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,13 +52,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = shared_path(spark, f"pipeline-{name}")
+        path, mark = shared_path(spark, f"pipeline-{name}"), stored()
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        # what a stage read and wrote on its way is not needed once its result is written
+        discard_since(spark, mark)
+        if last:
+            delete(spark, last)
+        last = path
     return docs
 
 
-#: Fingerprints, descent and tokenizers have no SQL; tests hold the stages against brute force.
+#: Fingerprints, descent and tokenizers have no SQL; tests/llm/test_pipeline.py holds each
+#: stage and the whole run against plain versions.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the ASCII blanks.
@@ -81,6 +81,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def renamed(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named _in0, _in1, ... so that no name of theirs clashes, but those
+    to keep; and the new names, in the order of the columns."""
+    new = [c if c in keep else f"_in{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*new), new
+
+
+def named_back(df: DataFrame, new: list[str], names: list[str]) -> list[Column]:
+    """The columns of ``renamed`` under their own names."""
+    return [df[n].alias(c) for n, c in zip(new, names, strict=True)]
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -127,6 +139,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 __all__ = [
-    "BLANKS", "connected_components", "cut", "delete", "discard", "discard_since", "ensure_checkpoint_dir", "read", "shared_path",
-    "sql_words", "store", "stored",
+    "BLANKS", "connected_components", "cut", "delete", "discard", "discard_since", "ensure_checkpoint_dir", "named_back", "read",
+    "renamed", "shared_path", "sql_words", "store", "stored",
 ]

@@ -14,11 +14,11 @@ whatever the number of documents, and a hot source or key costs nothing more. Al
 is DataFrame functions; the driver sees class counts and domain totals only.
 
 A rate becomes whole copies: its integer part, and one more for a share of documents
-(by hash of doc_id) equal to its fraction.
+(by hash of doc_id and text) equal to its fraction.
 
 Edge cases: null, empty and wordless texts have no tokens, a posterior and a rate of
 their pattern; labels of unknown or null ids are ignored; without labels all domains
-are equally likely; repeated rows and null ids are mixed like others; an empty table
+are equally likely; null ids are mixed like others, repeated rows get one draw for all; an empty table
 gives an empty result; columns of docs are kept as they are, whatever their names.
 """
 
@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read, store
+from .common import cut, named_back, read, renamed, store
 from .labelled import bounded
 
 DOMAINS = ["clean", "toxic", "junk"]
@@ -85,11 +85,12 @@ def indicator_words(docs: DataFrame, known: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def binned(docs: DataFrame, words: dict[str, list[str]], text: str = "text") -> DataFrame:
-    """docs with n_tokens and a bin (int from 0) for each feature, named _b_<feature>."""
+def binned(docs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
+    """docs with _n_tokens, a _draw (a hash of id and text) and a bin (int from 0) for each
+    feature, named _b_<feature>."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    d = docs.select(*own, _words(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_w"))
-    raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    d = docs.select(*own, _words(F.coalesce("text", F.lit(""))).alias("_w"))
+    raw = F.coalesce("text", F.lit(""))
     size = F.greatest(F.length(raw), F.lit(1))
     bare = raw
     for c in "#*$%&|":
@@ -105,14 +106,15 @@ def binned(docs: DataFrame, words: dict[str, list[str]], text: str = "text") ->
         "junk_words": F.size(F.array_intersect("_w", listed("junk"))),
     }
     values = [values[f].cast("double").alias(f"_v_{f}") for f in FEATURES]
-    d = d.select(*own, F.size("_w").cast("long").alias("_n_tokens"), *values)
+    draw = F.xxhash64("doc_id", "text", F.lit("copies")).alias("_draw")
+    d = d.select(*own, F.size("_w").cast("long").alias("_n_tokens"), draw, *values)
     bins = []
     for f in FEATURES:
         b = F.lit(len(BINS[f]))
         for k, most in reversed(list(enumerate(BINS[f]))):
             b = F.when(F.col(f"_v_{f}") <= most, k).otherwise(b)
         bins.append(b.cast("int").alias(f"_b_{f}"))
-    return d.select(*own, "_n_tokens", *bins)
+    return d.select(*own, "_n_tokens", "_draw", *bins)
 
 
 KEY = [f"_b_{f}" for f in FEATURES]
@@ -163,35 +165,36 @@ def fit_rates(patterns: DataFrame, weights: dict[str, float]) -> DataFrame:
     return table
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, keep: bool = False) -> DataFrame:
-    """n_tokens, p_<domain>, rate and copies of every document, by doc_id; or, if asked to
-    keep, the columns of docs with _copies."""
-    names = docs.columns
-    renamed = docs.select(*(F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(names)))
-    text, doc_id = f"_in{names.index('text')}", f"_in{names.index('doc_id')}"
+def _rated(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
+    """docs (doc_id, text and columns that clash with no name in here) with their bins; ids and
+    bins alone, stored; a rate for each pattern of bins; and the number of copies of a row joined to its rate."""
     known = cut(labelled(labels))
-    words = indicator_words(docs, known)
-    table = binned(renamed if keep else renamed.select(doc_id, text), words, text)
-    thin = table.select(F.col(doc_id).alias("doc_id"), "_n_tokens", *KEY)
-    thin = store(thin, "mix-bins")
+    table = binned(docs, indicator_words(docs, known))
+    thin = store(table.select("doc_id", "_n_tokens", "_draw", *KEY), "mix-bins")
     posteriors = posterior_columns(thin, known)
     patterns = thin.groupBy(*KEY).agg(F.sum("_n_tokens").alias("tokens")).select(*KEY, "tokens", *posteriors)
     # a row per pattern of bins: no more than the product of the bins
     fitted = F.broadcast(cut(fit_rates(cut(patterns), weights or WEIGHTS)).drop("tokens"))
-    share = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1_000_000)) / 1_000_000
+    share = F.pmod("_draw", F.lit(1_000_000)) / 1_000_000
     copies = (F.floor("rate") + F.when(share < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    if keep:
-        d = table.join(fitted, KEY).withColumn("doc_id", F.col(doc_id))
-        return d.select(*(F.col(f"_in{i}").alias(c) for i, c in enumerate(names)), copies.alias("_copies"))
+    return table, thin, fitted, copies
+
+
+def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, n_tokens, p_<domain>, rate and copies of every document."""
+    _, thin, fitted, copies = _rated(docs.select("doc_id", "text"), labels, weights)
     d = thin.join(fitted, KEY)
     return d.select("doc_id", F.col("_n_tokens").alias("n_tokens"), *(f"p_{x}" for x in DOMAINS), "rate", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The documents, each as many times as it has copies, with the columns of docs."""
-    d = rates(docs, labels, weights, keep=True)
+    own, new = renamed(docs, ("doc_id", "text"))
+    table, _, fitted, copies = _rated(own, labels, weights)
+    d = table.join(fitted, KEY).select(*new, copies.alias("_copies"))
     many = F.when(F.col("_copies") > 0, F.array_repeat(F.lit(1), F.col("_copies")))
-    return d.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(many).alias("_one")).drop("_one")
+    d = d.select(*new, F.explode(many).alias("_one"))
+    return d.select(*named_back(d, new, docs.columns))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands, exact check.
+"""SimHash near-duplicates held to the Jaccard similarity of word shingles.
 
-Trees over SimHash fingerprints cannot serve here: two texts of similarity 0.8 differ in
-about 10 of 64 bits, and at the radius that finds most of them (14 or more) neither the
-pigeonhole blocks nor the triangle bound exclude anything.
+Candidates come from two sides. Vantage-point trees over SimHash fingerprints give the
+classes of ``simhash``: texts that differ in 4 bits or less. Two texts of similarity 0.8
+differ in about 10 of 64 bits, and at the radius that finds most of them (14 or more) neither the
+pigeonhole blocks nor the triangle bound exclude anything; for these each text gets
+``BANDS`` keys of ``ROWS`` MinHash values, and a pair of similarity s shares a key with
+probability 1 - (1 - s**ROWS)**BANDS, which is 0.9996 at 0.8.
 
-Texts that are equal byte for byte are one node. Each node gets ``BANDS`` keys of
-``ROWS`` MinHash values; a pair of similarity s shares a key with probability
-1 - (1 - s**ROWS)**BANDS, which is 0.9996 at 0.8. Nodes that share a key form a group,
+Texts that are equal byte for byte are one node. Nodes that share a class or key form a group,
 groups of the same members count once, and only the texts of groups of two or more are
 sent. In a group the similarity of whole shingle sets decides: what is near a node is
 linked to the root of its search and leaves the list, so a tight group costs its size, and
@@ -28,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from . import simhash
+from .common import connected_components, cut, named_back, renamed, store
 
 WIDTH = 5
 LEAST = 0.8
@@ -93,10 +95,13 @@ def group_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
 def _banded(docs: DataFrame, kind: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [band_keys(shingles(t, width)) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "bands"])
+            texts = b.column(2).to_pylist()
+            keys = [band_keys(shingles(t, width)) for t in texts]
+            fps = np.array([simhash.fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
+            columns = [b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(fps)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "bands", "fp"])
 
-    return docs.mapInArrow(run, f"id {kind}, node binary, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, node binary, bands array<long>, fp long")
 
 
 def _links(grouped: DataFrame, width: int, least: float) -> DataFrame:
@@ -123,14 +128,22 @@ def _links(grouped: DataFrame, width: int, least: float) -> DataFrame:
     return grouped.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(run, "a binary, b binary")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its near-duplicate class."""
+def keep_one(docs: DataFrame, width: int = WIDTH, least: float = LEAST, max_bits: int = simhash.MAX_BITS) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its near-duplicate class, with the
+    columns of docs, whatever their names."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    docs, new, names = *renamed(docs, ("doc_id", "text")), docs.columns
     text = F.coalesce("text", F.lit(""))
     own = docs.select(F.col("doc_id").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text"))
-    marked = cut(_banded(own, kind, width))
-    nodes = marked.groupBy("node").agg(F.first("bands").alias("bands"))
-    groups = nodes.select("node", F.explode("bands").alias("band")).groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    marked = store(_banded(own, kind, width), "near-bands")
+    nodes = marked.groupBy("node").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    fps = cut(nodes.select("fp").distinct())
+    classes = connected_components(simhash.links(fps, max_bits)).withColumnRenamed("node", "fp")
+    by_class = nodes.select("node", "fp").join(classes, "fp", "left").select(
+        "node", F.xxhash64(F.coalesce("component", "fp"), F.lit("class")).alias("band")
+    )
+    keyed = nodes.select("node", F.explode("bands").alias("band")).unionByName(by_class)
+    groups = keyed.groupBy("band").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     groups = groups.where(F.size("nodes") > 1).groupBy("nodes").agg(F.min("band").alias("grp"))
     members = cut(groups.select("grp", F.explode("nodes").alias("node")))
     texts = own.select("node", "text").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
@@ -141,4 +154,5 @@ def keep_one(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataF
     # rows of null id stay whatever they are near to
     none = docs.sparkSession.range(1).select(F.lit(None).cast(kind).alias("_keep"))
     keep = keep.where(F.col("_keep").isNotNull()).unionByName(none)
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return out.select(*named_back(out, new, names))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, read
+from .common import BLANKS, named_back, read, renamed
 
 #: Character classes, of one syntax in Spark and in SQL engines with RE2.
 SYMBOLS = "#*$%&|<>"
@@ -72,8 +72,15 @@ def line_fails(line: Column) -> Column:
 
 def measure(docs: DataFrame) -> DataFrame:
     """docs with the columns ``COLUMNS`` and _lines, the lines that stay."""
-    names = [c for c in docs.columns if c not in COLUMNS]
-    own = [F.col(f"`{c}`") for c in names]
+    docs = docs.drop(*COLUMNS, "_lines")
+    named, new = renamed(docs, ("text",))
+    d = _measure(named)
+    return d.select(*named_back(d, new, docs.columns), *COLUMNS, "_lines")
+
+
+def _measure(docs: DataFrame) -> DataFrame:
+    """``measure`` of a column text and others that clash with no name in here."""
+    own = [F.col(c) for c in docs.columns]
     d = docs.select(*own, F.coalesce(F.col("text"), F.lit("")).alias("_t"))
     words = F.filter(F.split("_t", BLANKS), lambda w: w != "")
     lines = F.filter(F.split("_t", "\n"), lambda x: _solid(x) > 0)
@@ -123,9 +130,9 @@ def clean(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of docs: text without its failing lines,
     and n_chars, if docs has it, the new length. Texts that lose no line stay as they are."""
     names = docs.columns
-    renamed = docs.select(*(F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(names)))
-    at = {c: f"_in{i}" for i, c in enumerate(names)}
-    d = measure(renamed.withColumnRenamed(at["text"], "text"))
+    own, new = renamed(docs, ("text",))
+    at = dict(zip(names, new, strict=True))
+    d = _measure(own)
     d = d.select("text", "kept", *(at[c] for c in names if c != "text"), F.array_join("_lines", "\n").alias("_new"))
     text = F.when(_solid(F.col("_new")) < _solid(F.col("text")), F.col("_new")).otherwise(F.col("text"))
     own = [text.alias("text") if c == "text" else F.col(at[c]).alias(c) for c in names]

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, store
+from .common import named_back, read, renamed, store
 
 WINDOW = 50
 ROUNDS = 4
@@ -250,14 +250,38 @@ def _result(words: list[bytes], gone: np.ndarray, with_text: bool) -> tuple[int,
     return len(words), n, hashlib.sha256(kept).hexdigest(), text
 
 
+RESULTS = ["n_words", "n_removed", "kept_sha256", "kept_text"]
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 and, if asked for, kept_text (null if all is kept).
 
     The columns of docs stay, text too if ``with_text``; a column of one of the new
     names is replaced.
     """
-    new = ["n_words", "n_removed", "kept_sha256", "kept_text"]
-    docs = docs.drop(*new)
+    docs = docs.drop(*RESULTS)
+    own, new = renamed(docs, ("doc_id", "text"))
+    out = _dedup(own, window, with_text)
+    own = [(n, c) for n, c in zip(new, docs.columns, strict=True) if n != "text" or with_text]
+    return out.select(*(F.col(n).alias(c) for n, c in own), *(RESULTS if with_text else RESULTS[:-1]))
+
+
+def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents without the passages that stand in an earlier one, with the columns of
+    docs, whatever their names; n_chars, if there, follows the text. Emptied documents go."""
+    own, new = renamed(docs, ("doc_id", "text"))
+    out = _dedup(own, window, True).where("n_removed = 0 or n_removed < n_words")
+    out = out.withColumn("text", F.coalesce("kept_text", "text"))
+    if "n_chars" in docs.columns:
+        at = new[docs.columns.index("n_chars")]
+        length = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(at))
+        out = out.withColumn(at, length.cast(docs.schema["n_chars"].dataType))
+    return out.select(*named_back(out, new, docs.columns))
+
+
+def _dedup(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """``dedup`` of columns doc_id, text and others that clash with no name in here."""
+    new = RESULTS
     own = store(spans(docs, window), "spans")
     # symbols of one document only can't be repeats; where all spans agree, they settle it
     shared = own.groupBy("sym").agg(
@@ -265,6 +289,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> Data
     ).where("lo < hi").select("sym", "open")
     own = store(own.join(shared, "sym"), "shared-spans")
     firsts = own.groupBy("sym", "span").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("open").alias("open"))
+    # stored, so that the join below deals both its sides itself and can split a hot span
+    firsts = store(firsts, "first-spans")
     # copies: every document but the first; edges: the first document of each span
     late = firsts.where("least < most")
     seen = own.drop("open").join(late.select("sym", "span", "least"), ["sym", "span"]).where("doc > least")

@@ -1,16 +1,18 @@
 """SimHash near-duplicates through vantage-point trees.
 
-A fingerprint pair at Hamming distance <= ``max_bits`` must be close on one of a few
-bit blocks (pigeonhole): with block radii r_i and sum(r_i + 1) > max_bits, some block
-i has distance <= r_i. Distance restricted to a block is itself a metric, so each
-block gets a vantage-point tree: a node holds a vantage point and a median distance,
-near fingerprints go left and far ones right. A query goes to both sides where the
-triangle bound |d(q, v) - mu| <= r_i does not exclude one, so a shard receives its own
-fingerprints plus those that overlap its boundary; there all 64 bits are compared
-exactly. Blocks of radius 0 have no overlap at all, which bounds the copies made.
-
-Above ``LEVEL2`` distinct fingerprints each block's shards are split again by trees
-over the other bits, so that shards stay small.
+The 64 bits are cut into ``max_bits + 1`` blocks, so that of a pair within ``max_bits``
+some block agrees. If it is the first that does, each block before it differs, and what is
+left for the blocks after it is known: they are cut again in the same way. Distance
+restricted to the bits of a block is a metric, so each block gets a vantage-point tree: a
+node holds a vantage point and a median distance, near fingerprints go left and far ones
+right, and a query of radius r goes to both sides where the triangle bound
+|d(q, v) - mu| <= r does not exclude one. Two trees, one in the other, lead to a shard. At
+radius 0, to which the blocks bring it, no query overlaps a boundary: a fingerprint is
+copied 16 times, whatever their number, where trees of radius 1 made 35 to 580 copies.
+
+In a shard all 64 bits are compared exactly. A large shard is put in the order of the
+distance from a vantage point, and only fingerprints whose distances differ by no more
+than ``max_bits`` (the triangle bound again) are compared.
 
 Edge cases: null, empty and blank texts have no shingles and fingerprint zero, and
 link like any other; texts under four words are one shingle; repeated rows collapse to
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, read
+from .common import connected_components, cut, named_back, read, renamed
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -37,7 +39,6 @@ SEED = 42
 SAMPLE = 16384
 #: Fingerprints a shard should hold.
 SHARD = 128
-LEVEL2 = 20_000_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _COLS = np.arange(8, dtype=np.int64) * 256
 
@@ -65,32 +66,47 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """(id, fp): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64)
+            fps = np.array([fingerprint(t, width) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _blocks(bits: list[int], radii: list[int]) -> list[tuple[int, int]]:
+def _cut(bits: list[int], parts: int) -> list[list[int]]:
+    """bits in so many blocks of about equal size."""
     out, k = [], 0
-    for i, r in enumerate(radii):
-        n = (len(bits) - k) // (len(radii) - i)
-        out.append((sum(1 << b for b in bits[k : k + n]), r))
+    for i in range(parts):
+        n = (len(bits) - k) // (parts - i)
+        out.append(bits[k : k + n])
         k += n
     return out
 
 
-def _radii(max_bits: int, parts: int) -> list[int]:
-    """Radii whose sum of (r + 1) is max_bits + 1 over at most ``parts`` blocks."""
-    parts = min(parts, max_bits + 1)
-    base, extra = divmod(max_bits + 1, parts)
-    return [base - 1 + (i < extra) for i in range(parts)]
+def _mask(bits: list[int]) -> int:
+    return sum(1 << b for b in bits)
+
+
+def paths(max_bits: int) -> list[tuple[int, int]]:
+    """Masks of two blocks each; of a pair within max_bits some path agrees on both.
+
+    Path group i is for pairs whose first agreeing block is i: i bits or more are spent on
+    the blocks before. Where nothing is left to spend, one block before holds one differing
+    bit, and one of its halves agrees.
+    """
+    blocks = _cut(list(range(64)), max_bits + 1)
+    out = []
+    for i, own in enumerate(blocks):
+        after = [b for x in blocks[i + 1 :] for b in x]
+        left = max_bits - i
+        seconds = _cut(after, left + 1) if after else _cut(blocks[0], 2) if i else [own]
+        out += [(_mask(own), _mask(s)) for s in seconds]
+    return out
 
 
 class Tree:
@@ -125,20 +141,16 @@ class Tree:
         return idx, node
 
 
-def _forest(sample: np.ndarray, n: int, max_bits: int) -> list[list[Tree]]:
-    """Sequences of trees; a pair within max_bits meets in a shard of at least one."""
-    depth = int(min(16, max(1, np.ceil(np.log2(max(2, n / SHARD))))))
-    out = []
-    for i, (mask, r) in enumerate(_blocks(list(range(64)), _radii(max_bits, 4))):
-        first = Tree(sample, mask, r, depth, i)
-        if n <= LEVEL2:
-            out.append([first])
-            continue
-        rest = [b for b in range(64) if not mask >> b & 1]
-        more = int(min(10, np.ceil(np.log2(n / LEVEL2)) + 7))
-        for j, (m2, r2) in enumerate(_blocks(rest, _radii(max_bits, max_bits + 1))):
-            out.append([first, Tree(sample, m2, r2, more, 100 + 10 * i + j)])
-    return out
+def _forest(sample: np.ndarray, n: int, max_bits: int) -> list[tuple[Tree, Tree]]:
+    """Pairs of trees; two fingerprints within max_bits meet in a shard of at least one pair."""
+    depth = max(2, int(np.ceil(np.log2(max(2, n / SHARD)))))
+    first = min(12, (depth + 1) // 2)
+    second = min(10, depth - first)
+    trees: dict[tuple[int, int], Tree] = {}
+    for a, b in paths(max_bits):
+        for mask, d in ((a, first), (b, second)):
+            trees.setdefault((mask, d), Tree(sample, mask, 0, d, len(trees)))
+    return [(trees[a, first], trees[b, second]) for a, b in paths(max_bits)]
 
 
 def shard_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -154,16 +166,25 @@ def shard_links(fps: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
         i, j = np.nonzero(np.triu(close, 1))
         if len(i) < len(fps):
             return list(zip(signed[i].tolist(), signed[j].tolist(), strict=True))
-    left = fps
-    while len(left) > 1:
-        root, todo, left = int(left[:1].view(np.int64)[0]), [left[0]], left[1:]
-        while todo and len(left):
-            near = np.bitwise_count(left ^ todo.pop()) <= max_bits
-            if near.any():
-                found = left[near]
-                out += [(root, x) for x in found.view(np.int64).tolist()]
-                todo += list(found)
-                left = left[~near]
+    # in the order of the distance from a vantage point; equal distances stand together
+    away = np.bitwise_count(fps ^ fps[0]).astype(np.int64)
+    order = np.argsort(away, kind="stable")
+    fps, away = fps[order], away[order]
+    edges = np.searchsorted(away, np.arange(66 + max_bits))
+    here = np.ones(len(fps), bool)
+    for k in range(len(fps)):
+        if not here[k]:
+            continue
+        here[k] = False
+        root, todo = int(fps[k : k + 1].view(np.int64)[0]), [k]
+        while todo:
+            at = todo.pop()
+            lo, hi = edges[max(0, away[at] - max_bits)], edges[away[at] + max_bits + 1]
+            near = lo + np.flatnonzero(here[lo:hi] & (np.bitwise_count(fps[lo:hi] ^ fps[at]) <= max_bits))
+            if len(near):
+                here[near] = False
+                out += [(root, x) for x in fps[near].view(np.int64).tolist()]
+                todo += near.tolist()
     return out
 
 
@@ -219,19 +240,25 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return routed.repartition("shard").sortWithinPartitions("shard").mapInArrow(compare, "a long, b long")
 
 
+def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, least, component_id) of rows (id, fp): one row a fingerprint, with its smallest id
+    and that of all fingerprints reachable from it."""
+    own = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    found = connected_components(links(own, max_bits)).withColumnRenamed("node", "fp")
+    linked = found.join(own, "fp")
+    # cut, so that the join below deals both its sides itself and can split a hot component
+    named = cut(linked.groupBy("component").agg(F.min("least").alias("component_id")))
+    names = found.join(named, "component").select("fp", "component_id")
+    return own.join(names, "fp", "left").select("fp", "least", F.coalesce("component_id", "least").alias("component_id"))
+
+
 def near_duplicates(
-    docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE
 ) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) of every row of docs."""
-    marked = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    found = connected_components(links(classes, max_bits))
-    tagged = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    tagged = tagged.withColumn("component", F.coalesce("component", "fp"))
-    named = tagged.groupBy("component").agg(F.min("least").alias("component_id"))
-    # classes of a single fingerprint need no second join
-    names = tagged.join(named, "component").select("fp", "component_id")
-    return marked.join(names, "fp", "left").select(
+    marked = cut(fingerprints(docs, id_col, text_col, width))
+    names = cut(classes(marked, max_bits))
+    return marked.join(names.select("fp", "component_id"), "fp", "left").select(
         F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -241,8 +268,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its near-duplicate class."""
-    found = near_duplicates(docs.select("doc_id", "text"))
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, width: int = SHINGLE) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its near-duplicate class, with the
+    columns of docs, whatever their names. Rows of a null doc_id stay."""
+    own, new = renamed(docs, ("doc_id", "text"))
+    found = near_duplicates(own.select("doc_id", "text"), max_bits, width=width)
     keep = found.where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    out = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    return out.select(*named_back(out, new, docs.columns))

@@ -60,10 +60,9 @@ def test_empty_table(spark):
     assert simhash.near_duplicates(df).collect() == []
 
 
-@pytest.mark.parametrize("level2", [10, 10**9])
-def test_links_find_all_close_pairs(spark, monkeypatch, level2):
-    monkeypatch.setattr(simhash, "LEVEL2", level2)
-    monkeypatch.setattr(simhash, "SHARD", 4)
+@pytest.mark.parametrize("shard", [0.001, 4, 128])
+def test_links_find_all_close_pairs(spark, monkeypatch, shard):
+    monkeypatch.setattr(simhash, "SHARD", shard)  # 0.001: trees as deep as for ten billion
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 7), replace=False)) for b in base]
@@ -85,6 +84,48 @@ def test_links_find_all_close_pairs(spark, monkeypatch, level2):
     assert {i: find(i) for i in fps} == want
 
 
+def test_some_path_agrees_for_every_difference():
+    rng = np.random.default_rng(4)
+    found = simhash.paths(4)
+    assert len(found) == 16
+    for n in range(5):
+        for _ in range(4000):
+            d = sum(1 << int(k) for k in rng.choice(64, n, replace=False))
+            assert any(not d & a and not d & b for a, b in found)
+    for own in np.array_split(np.arange(64), 5):  # one block takes all four
+        for _ in range(300):
+            d = sum(1 << int(k) for k in rng.choice(own, 4, replace=False))
+            assert any(not d & a and not d & b for a, b in found)
+
+
+def test_large_shards_lose_no_link():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64))
+    fps = np.unique(np.concatenate((base, near)))
+    ids = {int(f): i for i, f in enumerate(fps.tolist())}
+    want = plain_components({i: f for f, i in ids.items()})
+    root = {i: i for i in want}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in simhash.shard_links(fps, 4):
+        x, y = sorted((find(ids[a & (2**64 - 1)]), find(ids[b & (2**64 - 1)])))
+        root[y] = x
+    assert {i: find(i) for i in root} == want
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (7, "x y"), (3, "x y"), (None, "q")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fps = {t: f"{plain_fingerprint(t):016x}" for _, t in rows}
+    want = [(None, fps["a b c d"], 7), (7, fps["a b c d"], 7), (7, fps["a b c d"], 7), (7, fps["x y"], 3), (3, fps["x y"], 3), (None, fps["q"], None)]
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_hot_cluster_is_linear():
     rng = np.random.default_rng(2)
     base = int(rng.integers(0, 2**63))
@@ -94,7 +135,7 @@ def test_hot_cluster_is_linear():
 
 def test_keep_one(spark):
     rows = [(1, "a b c d e f g", "s"), (2, "a b c d e f g", "s"), (3, "x y z w q r", "s"), (None, "a b c d e f g", "s")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, _keep string")
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 3]
