@@ -25,8 +25,8 @@ table gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, store
 
 #: Words of the longest n-grams.
 ORDER = 3
@@ -160,7 +160,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
         n = int(sizes.sum())
         begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
         with np.errstate(divide="ignore", invalid="ignore"):
-            best = np.log(c[0] / words_total) if n else np.zeros(0)
+            best, alone = np.log(c[0]) if n else np.zeros(0), np.ones(n, bool)
             for k in range(1, order):
                 # the n-gram that ends at word i starts at i - k
                 at = np.arange(n) - k
@@ -168,33 +168,24 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, m
                 top = np.where(inside, c[k][np.maximum(at, 0)], 0) if n else np.zeros(0)
                 under = np.where(inside, c[k - 1][np.maximum(at, 0)], 1) if n else np.ones(0)
                 seen = top >= min_count
+                alone &= ~seen
                 best = np.where(seen, np.log(np.where(seen, top, 1) / under), np.where(inside, np.log(alpha) + best, best))
-        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), best, len(sizes)) if n else np.zeros(len(sizes))
-        empty = sizes == 0
-        return pa.table({
-            "doc_id": t.column("doc_id"), "n_words": pa.array(sizes), "log_score": pa.array(sums, mask=empty),
-            "score": pa.array(sums / np.maximum(sizes, 1), mask=empty),
-        })
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        sums, falls = (np.bincount(at, x, len(sizes)) if n else np.zeros(len(sizes)) for x in (best, alone))
+        return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array(sizes), "sums": pa.array(sums), "falls": pa.array(falls)})
 
     packed = dealt.groupBy("chunk").applyInArrow(lists, "chunk int, bucket int, names binary, counts binary")
-    words_total = count_words(docs)
     # not cut: both sides below share the one exchange of the texts
     answers = packed.groupBy("bucket").applyInArrow(add_up, "chunk int, bucket int, answer binary")
-    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        score, f"doc_id {kind}, n_words long, log_score double, score double"
-    )
-    return out
-
-
-def count_words(docs: DataFrame) -> int:
-    """Words of the whole corpus."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = sum(len((t or "").encode("utf-8", "surrogatepass").split()) for t in b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    return max(1, docs.select("text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
+    parts = store(
+        dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+            score, f"doc_id {kind}, n_words long, sums double, falls double"
+        ), "lm-parts",
+    )
+    # words that fell back to their own count are held against all words of the corpus
+    n = max(1, parts.agg(F.sum("n_words")).first()[0] or 0)
+    log_score = F.when(F.col("n_words") > 0, F.col("sums") - F.col("falls") * math.log(n))
+    return parts.select("doc_id", "n_words", log_score.alias("log_score"), (log_score / F.col("n_words")).alias("score"))
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
