@@ -29,7 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         options = Options(a.src_crs, a.nodata, a.min_zoom, a.max_zoom, a.resampling, a.quality, a.speed)
         spark = SparkSession.builder.appName("tessella").getOrCreate()
-        for r in convert(spark, a.input, a.output, options).orderBy("z").collect():
+        for r in convert(spark, a.input, a.output, options, print).orderBy("z").collect():
             print(f"z{r.z}: {r.n_written} written, {r.n_empty} empty, {r.n_kept - r.n_written} transparent")
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)

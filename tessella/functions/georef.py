@@ -43,7 +43,8 @@ def geokey(directory: Column, key: int) -> Column:
     """The first inline short of a key: entries of four words after the header's count."""
     count = F.get(directory, F.lit(3))
     room = F.floor(F.size(directory) / 4) - 1
-    entries = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda i: (i <= count) & (i <= room))
+    last = F.greatest(room, F.lit(1)).cast("int")  # a sequence needs an end that is not before its start
+    entries = F.filter(F.sequence(F.lit(1), last), lambda i: (i <= count) & (i <= room))
     hits = F.filter(
         entries,
         lambda i: (F.get(directory, i * 4) == key) & (F.get(directory, i * 4 + 1) == 0) & (F.get(directory, i * 4 + 2) == 1),

@@ -92,3 +92,14 @@ def dense_ordinal(df: DataFrame, order: list[str], name: str) -> DataFrame:
     shift = F.get(F.array(*map(F.lit, shifts)), F.col("_pid")) if shifts else F.lit(0)
     w = Window.partitionBy("_pid").orderBy(*order)
     return ranged.withColumn(name, (F.row_number().over(w) - 1 + shift).cast("long")).drop("_pid")
+
+
+def progress_marks(df: DataFrame, ordinal: str) -> DataFrame:
+    """(percent, written, total): where the share of rows done, in the order of their ordinal
+    from 0, reaches another tenth. One row a tenth at most, found without a global order."""
+    total = df.agg(F.count("*").alias("total"))
+    k = F.col(ordinal) + 1
+    d = df.select(k.alias("written")).join(F.broadcast(total))  # one row
+    d = d.withColumn("percent", F.expr("written * 100 div total"))
+    first = d.groupBy(F.expr("percent div 10").alias("tenth")).agg(F.min(F.struct("written", "percent", "total")).alias("m"))
+    return first.where("tenth > 0").select("m.percent", "m.written", "m.total")

@@ -9,8 +9,10 @@ from ..functions import georef as G
 from ..functions import nodata as N
 from ..functions import pixels as P
 from ..functions import tiles as T
+from ..operators import chunks as K
 from ..operators import coverage as V
 from ..operators import sampling as S
+from ..sources.paths import has_glob_column
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -146,6 +148,13 @@ def write_ordinal(spark, sf):
     return V.dense_ordinal(d, ["tile_id"], "write_idx")
 
 
+@query(f"""with {HILBERT}, w as (select row_number() over (order by tile_id) as k, count(*) over () as total from ids),
+  p as (select k, total, k * 100 // total as percent, lag(k * 100 // total, 1, 0) over (order by k) as before from w)
+  select percent, k as written, total from p where percent // 10 > before // 10""")
+def progress_marks(spark, sf):
+    return V.progress_marks(write_ordinal(spark, sf), "write_idx")
+
+
 @query(f"""with {LOCAL_SQL} select n // 256 as batch, count(*) as n_tiles, min(locality_key) as first_key from (
   select locality_key, row_number() over (order by locality_key, z) - 1 as n from loc) group by 1""")
 def render_batches(spark, sf):
@@ -413,13 +422,7 @@ def needs(spark, sf):
     """Chunks under boxes in raster space, a pixel wider, clipped; an empty range gives none."""
     k = col("source_idx")
     d = layouts(spark, sf).select("*", (k * 37 % 400 - 50.5).alias("x0"), (k * 41 % 300 - 40.5).alias("y0"))
-    d = d.select("*", (col("x0") + 80).alias("x1"), (col("y0") + 60).alias("y1"))
-    d = d.where((col("x1") + 1 >= 0) & (col("y1") + 1 >= 0) & (col("x0") - 1 < col("w")) & (col("y0") - 1 < col("h")))
-    low = lambda v, c: F.floor(F.greatest(F.floor(v) - 1, lit(0)) / c).cast("long")
-    high = lambda v, n, c: F.floor(F.least(F.ceil(v) + 1, n - 1) / c).cast("long")
-    d = d.withColumn("cx", F.explode(F.sequence(low(col("x0"), col("cw")), high(col("x1"), col("w"), col("cw")))))
-    d = d.withColumn("cy", F.explode(F.sequence(low(col("y0"), col("ch")), high(col("y1"), col("h"), col("ch")))))
-    return d.select("source_idx", (col("cy") * col("across") + col("cx")).alias("chunk_idx"))
+    return K.chunks_under(d.select("*", (col("x0") + 80).alias("x1"), (col("y0") + 60).alias("y1")))
 
 
 NEEDS = f"""{LAYOUTS}, bx as (select *, x0 + 80 as x1, y0 + 60 as y1 from (select *, source_idx * 37 % 400 - 50.5e0 as x0, source_idx * 41 % 300 - 40.5e0 as y0 from lay)),
@@ -431,13 +434,13 @@ need as (select source_idx, cy * across + cx as chunk_idx from (
 
 @query(f"with {NEEDS} select source_idx, chunk_idx from need")
 def chunk_requirements(spark, sf):
-    return needs(spark, sf)
+    return needs(spark, sf).select("source_idx", "chunk_idx")
 
 
 @query(f"with {NEEDS} select source_idx, array_to_string(list(distinct chunk_idx order by chunk_idx), ' ') as chunks from need group by 1")
 def chunks_by_source(spark, sf):
-    d = needs(spark, sf).groupBy("source_idx").agg(F.sort_array(F.collect_set("chunk_idx")).alias("c"))
-    return d.select("source_idx", F.array_join(F.transform("c", lambda x: x.cast("string")), " ").alias("chunks"))
+    d = K.chunk_lists(needs(spark, sf))
+    return d.select("source_idx", F.array_join(F.transform("chunks", lambda x: x.cast("string")), " ").alias("chunks"))
 
 
 # --- pixels ---------------------------------------------------------------------------------
@@ -567,5 +570,5 @@ def bench_raster(spark: SparkSession, edge: int, seed: int) -> DataFrame:
 
 @query("select distinct concat('/in/', p_brand, '/', cast(p_size as varchar), '.tif') as path, contains(p_type, '*') as has_glob from part")
 def path_dedup_sort(spark, sf):
-    d = table(spark, sf, "part").select(F.concat(lit("/in/"), "p_brand", lit("/"), col("p_size").cast("string"), lit(".tif")).alias("path"), F.col("p_type").rlike(r"[*?\[\]]").alias("has_glob"))
-    return d.distinct().orderBy("path")
+    path = F.concat(lit("/in/"), "p_brand", lit("/"), col("p_size").cast("string"), lit(".tif")).alias("path")
+    return table(spark, sf, "part").select(path, has_glob_column("p_type").alias("has_glob")).distinct().orderBy("path")

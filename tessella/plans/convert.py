@@ -4,13 +4,13 @@
           -> decoded chunks -> rendered tiles -> encoded tiles in archive order
 
 Headers are one row per file and are collected; all else stays distributed. Chunks are
-decoded once per run, and tiles are dealt by a prefix of their locality key, so that
-neighbours that share chunks are rendered together.
+decoded once per run. Tiles are dealt by a prefix of their locality key, in batches of up
+to 256 tiles of the finest zoom and those above them; a chunk is sent once to each batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +21,16 @@ from pyspark.sql import functions as F
 from ..functions import crs as C
 from ..functions import nodata as N
 from ..functions import tiles as T
-from ..operators import coverage, render
+from ..operators import chunks, coverage, render
 from ..sources import archive, tiff
 from ..sources.paths import resolve_inputs
 
 
+#: Low bits of a locality key that a batch leaves free: two for the half tile by which keys
+#: are shifted, and eight for the 256 tiles of the finest zoom.
+BATCH_BITS = 10
+
+
 @dataclass(frozen=True)
 class Options:
     """The command's options; see ``cli``."""
@@ -137,52 +142,75 @@ def render_tiles(spark: SparkSession, sources: list, pairs: DataFrame, resamplin
     """(z, x, y, tile_id, rgba) of every tile that is not wholly transparent."""
     meta = spark.sparkContext.broadcast(sources)  # one row a file
 
-    def needs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = "z int, x long, y long, source_idx int, x0 double, y0 double, x1 double, y1 double, w long, h long, cw long, ch long, across long"
+
+    def boxes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for z, x, y, s in part.itertuples(index=False):
-                source = meta.value[s]
-                corners = tile_corners(source, z, x, y)
+                m = meta.value[s]
+                corners = tile_corners(m, z, x, y)
                 if corners is not None:
-                    lay = render.Layout(source.width, source.height, source.chunk_w, source.chunk_h)
-                    out += [(z, x, y, s, c) for c in render.needed_chunks(corners, lay)]
-            yield pd.DataFrame(out, columns=["z", "x", "y", "source_idx", "chunk"])
+                    lay = render.Layout(m.width, m.height, m.chunk_w, m.chunk_h)
+                    out.append((z, x, y, s, *corners.min(axis=0), *corners.max(axis=0), m.width, m.height, m.chunk_w, m.chunk_h, lay.across))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in fields.split(", ")])
 
-    wanted = pairs.select("z", "x", "y", "source_idx").mapInPandas(needs, "z int, x long, y long, source_idx int, chunk long")
+    wanted = chunks.chunks_under(pairs.select("z", "x", "y", "source_idx").mapInPandas(boxes, fields))
+    key = T.locality_key(F.col("z"), F.col("x"), F.col("y"), max_zoom)
+    wanted = wanted.select("z", "x", "y", "source_idx", "chunk_idx", F.shiftright(key, BATCH_BITS).alias("batch"))
     files = spark.createDataFrame([(k, s.path) for k, s in enumerate(sources)], "source_idx int, path string")
-    per_file = wanted.select("source_idx", "chunk").distinct().groupBy("source_idx").agg(F.sort_array(F.collect_list("chunk")).alias("chunks"))
+    per_file = chunks.chunk_lists(wanted)
     content = spark.read.format("binaryFile").load([s.path for s in sources]).select("path", "content")
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for s, chunks, data in part.itertuples(index=False):
+            for s, needed, data in part.itertuples(index=False):
                 head = tiff.read_header(data)
-                for c in chunks:
+                for c in needed:
                     px = tiff.read_chunk(data, head, int(c))
-                    yield pd.DataFrame([(s, c, px.shape[0], px.shape[1], px.tobytes())], columns=["source_idx", "chunk", "h", "w", "px"])
-
-    chunks = content.join(files, "path").join(per_file, "source_idx").select("source_idx", "chunks", "content")
-    chunks = chunks.mapInPandas(decode, "source_idx int, chunk long, h int, w int, px binary")
-
-    def draw(key, part: pd.DataFrame) -> pd.DataFrame:
-        z, x, y = key
-        selected = []
-        for s in sorted(part.source_idx.unique()):
-            m = meta.value[s]
-            own = render.Source(render.Layout(m.width, m.height, m.chunk_w, m.chunk_h))
-            for r in part[part.source_idx == s].itertuples():
-                own.chunks[r.chunk] = np.frombuffer(r.px, np.uint8).reshape(r.h, r.w, 4)
-            selected.append((own, tile_corners(m, z, x, y)))
-        out = (render.nearest if resampling == "nearest" else render.bilinear)(selected, nodata)
-        rows = [(z, x, y, out.tobytes())] if out[..., 3].any() else []
+                    yield pd.DataFrame([(s, c, px.shape[0], px.shape[1], px.tobytes())], columns=["source_idx", "chunk_idx", "h", "w", "px"])
+
+    decoded = content.join(files, "path").join(per_file, "source_idx").select("source_idx", "chunks", "content")
+    decoded = decoded.mapInPandas(decode, "source_idx int, chunk_idx long, h int, w int, px binary")
+    sent = wanted.select("batch", "source_idx", "chunk_idx").distinct().join(decoded, ["source_idx", "chunk_idx"])
+
+    def draw(key: tuple, part: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
+        px = {(r.source_idx, r.chunk_idx): np.frombuffer(r.px, np.uint8).reshape(r.h, r.w, 4) for r in part.itertuples()}
+        rows = []
+        for (z, x, y), own_tile in tiles.groupby(["t_z", "t_x", "t_y"]):
+            selected = []
+            for s, needed in own_tile.groupby("t_source_idx"):
+                m = meta.value[s]
+                own = render.Source(render.Layout(m.width, m.height, m.chunk_w, m.chunk_h))
+                own.chunks.update({c: px[s, c] for c in needed.t_chunk_idx})
+                selected.append((own, tile_corners(m, z, x, y)))
+            out = (render.nearest if resampling == "nearest" else render.bilinear)(selected, nodata)
+            if out[..., 3].any():
+                rows.append((z, x, y, out.tobytes()))
         return pd.DataFrame(rows, columns=["z", "x", "y", "rgba"])
 
-    drawn = wanted.join(chunks, ["source_idx", "chunk"]).groupBy("z", "x", "y").applyInPandas(draw, "z int, x long, y long, rgba binary")
+    # under other names, as both sides come from the same rows
+    tiles = wanted.toDF(*(f"t_{c}" for c in wanted.columns))
+    drawn = sent.groupBy("batch").cogroup(tiles.groupBy("t_batch")).applyInPandas(draw, "z int, x long, y long, rgba binary")
     return coverage.tile_jobs(drawn, max_zoom).drop("locality_key")
 
 
-def convert(spark: SparkSession, inputs: list[str], output: str, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """Write the archive; returns (z, n_cells, n_kept, n_empty, n_pairs, n_written)."""
+def reported(items: Iterator, total: int, say: Callable[[str], None]) -> Iterator:
+    """The items, with a message whenever another tenth of them is done."""
+    tenth = 0
+    for k, item in enumerate(items, 1):
+        yield item
+        percent = 100 * k // max(total, 1)
+        if percent // 10 > tenth:
+            tenth = percent // 10
+            say(f"{percent}% ({k}/{total})")
+
+
+def convert(
+    spark: SparkSession, inputs: list[str], output: str, options: Options = Options(), say: Callable[[str], None] = lambda _: None  # noqa: B008
+) -> DataFrame:
+    """Write the archive; returns (z, n_cells, n_kept, n_empty, n_pairs, n_written). Progress
+    is told to ``say``."""
     paths = resolve_inputs(inputs)
     table = read_sources(spark, paths, options.src_crs)
     sources = sorted(table.collect(), key=lambda r: _local(r.path))
@@ -205,9 +233,14 @@ def convert(spark: SparkSession, inputs: list[str], output: str, options: Option
     done = tiles.mapInPandas(encoded, "z int, tile_id long, data binary").persist()
     lon, lat = C.to_lonlat("EPSG:3857", [row.min_x, row.max_x], [row.min_y, row.max_y])
     ordered = done.repartitionByRange("tile_id").sortWithinPartitions("tile_id")
-    stream = ((r.tile_id, bytes(r.data)) for r in ordered.toLocalIterator())
-    archive.write_archive(output, stream, kind, (row.min_zoom, row.max_zoom), (lon[0], lat[0], lon[1], lat[1]))
+    per_zoom = coverage.coverage_by_zoom(prints, ranges).orderBy("z").collect()
+    for r in per_zoom:
+        if r.n_empty:
+            say(f"z={r.z}: skipped {r.n_empty} empty tile(s)")
+        say(f"z={r.z}: rendering {r.n_kept} tile(s)")
     written = {r.z: r["count"] for r in done.groupBy("z").count().collect()}
+    stream = ((r.tile_id, bytes(r.data)) for r in ordered.toLocalIterator())
+    archive.write_archive(output, reported(stream, sum(written.values()), say), kind, (row.min_zoom, row.max_zoom), (lon[0], lat[0], lon[1], lat[1]))
     done.unpersist()
-    report = [(*r, written.get(r.z, 0)) for r in coverage.coverage_by_zoom(prints, ranges).orderBy("z").collect()]
+    report = [(*r, written.get(r.z, 0)) for r in per_zoom]
     return spark.createDataFrame(report, "z int, n_cells long, n_kept long, n_empty long, n_pairs long, n_written long")

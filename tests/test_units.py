@@ -145,6 +145,55 @@ def test_convert(spark, tmp_path):
         Options(quality=0)
 
 
+def test_progress_is_told_by_tenths():
+    from tessella.plans.convert import reported
+
+    said = []
+    assert list(reported(iter(range(25)), 25, said.append)) == list(range(25))
+    assert said[0] == "12% (3/25)" and said[-1] == "100% (25/25)" and len(said) == 10
+    assert list(reported(iter([]), 0, said.append)) == []
+
+
+def test_patterns(tmp_path):
+    from tessella.sources.paths import check_pattern, resolve_inputs
+
+    (tmp_path / "sub").mkdir()
+    for name in ("a.tif", ".b.tif", "sub/c.tif"):
+        (tmp_path / name).write_text("x")
+    assert resolve_inputs([f"{tmp_path}/*.tif"]) == [f"{tmp_path}/.b.tif", f"{tmp_path}/a.tif"]
+    assert f"{tmp_path}/sub/c.tif" in resolve_inputs([f"{tmp_path}/**/*.tif"])
+    assert resolve_inputs([f"{tmp_path}/[!b].tif", f"{tmp_path}/a.tif"]) == [f"{tmp_path}/a.tif"]
+    for bad in ("a***", "a**/b", "x/**y", "[ab", "[]", "[!]"):
+        with pytest.raises(ValueError):
+            check_pattern(bad)
+    with pytest.raises(FileNotFoundError):
+        resolve_inputs([f"{tmp_path}/no.tif"])
+
+
+def test_late_geokeys_count(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.functions import georef
+
+    keys = [1, 1, 0, 81, *[v for k in range(80) for v in (5000 + k, 0, 1, k)], 3072, 0, 1, 32633]
+    d = spark.createDataFrame([(keys,), ([1, 1, 0, 0],), ([1, 1],), (None,)], "k array<int>")
+    assert [r.e for r in d.select(georef.epsg(F.col("k")).alias("e")).collect()] == [32633, None, None, None]
+
+
+def test_exit_status(tmp_path, capsys):
+    from tessella import cli
+
+    assert cli.main([f"{tmp_path}/none.tif", "--min-zoom", "5", "--max-zoom", "3"]) == 1
+    assert "error" in capsys.readouterr().err
+
+
+def test_separate_planes_are_refused(tmp_path):
+    px = np.zeros((4, 4, 3), np.uint8)
+    tiff.write_tiff(f"{tmp_path}/p.tif", px, {tiff.PLANAR: ("H", (2,))})
+    with pytest.raises(ValueError):
+        tiff.read_header((tmp_path / "p.tif").read_bytes())
+
+
 def test_numpy_renderer_equals_joins(spark):
     from tessella.operators import sampling
 
