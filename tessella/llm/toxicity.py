@@ -1,14 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from labelled text: both hold the words that are
-common everywhere; one adds the stems (word beginnings and whole words) that toxic
-documents use more, the other those that ordinary documents use more, filled up to
-equal size. A window is a word before a fixed tail that both dictionaries
-hold (zstandard codes no match near the end of a block); it is compressed with each,
-and the bytes that the toxic dictionary saves over the ordinary one are its gain. Gains
-are remembered by word. A document's largest gain, and how many and what share of its
-windows gain over each threshold, are turned into a probability by weights calibrated
-on labelled documents.
+Several zstandard dictionaries are built from labelled text: all hold the words that are
+common everywhere; the ordinary one adds the stems (word beginnings and whole words) that
+ordinary documents use more, and the toxic ones, of rising strictness (``LEVELS``), those
+that toxic documents use more, filled up to equal size. A window is a word before a fixed
+tail that all dictionaries hold (zstandard codes no match near the end of a block); it is
+compressed with each, and the bytes that a toxic dictionary saves over the ordinary one are
+its gain. Gains are remembered by word. For each toxic dictionary a document's largest gain,
+and how many and what share of its windows gain over each threshold, are turned into a
+probability by weights calibrated on labelled documents.
+
+The dictionaries are chosen stems and not trained by the library, and a window is one
+word: trained on whole texts they tell next to nothing here, as the README's figures show.
 
 Stem counts come from a bounded sample of ``MAX_DOCS`` labelled documents a class, and
 calibration from ``MAX_TRAIN`` labelled rows; scoring reads every whole text once.
@@ -41,9 +44,13 @@ THRESHOLDS = (2, 3, 5)
 CACHE = 300_000
 MAX_DOCS = 2000
 MAX_TRAIN = 40_000
+#: Values that sum up a document's gains by one dictionary.
+PER_LEVEL = 1 + 2 * len(THRESHOLDS)
 COMMON, ONE_SIDED, CANDIDATES = 300, 250, 4000
-#: A stem is one-sided if its z score is over both of these: a floor, and a share of the largest.
-LEAST_Z, LEAST_SHARE = 6.0, 0.25
+#: z scores from which a stem is one-sided, for each toxic dictionary; for the first also
+#: this share of the largest. The broad ones know the stems of rare languages, the strict ones
+#: few that ordinary words begin with by chance.
+LEVELS, LEAST_SHARE = (6.0, 8.0, 10.0, 14.0), 0.25
 #: Lengths of word beginnings, the blank before them included.
 STEMS = (5, 6, 7, 8, 10)
 _STRIP = ".,;:!?\"'()"
@@ -93,8 +100,8 @@ def _different(stems_by_worth: list[str], n: int) -> list[str]:
     return out
 
 
-def dictionaries(docs: DataFrame, known: DataFrame) -> tuple[bytes, bytes]:
-    """(toxic, ordinary) dictionary contents."""
+def dictionaries(docs: DataFrame, known: DataFrame) -> tuple[list[bytes], bytes]:
+    """Contents of the toxic dictionaries, and of the ordinary one."""
     toxic, ordinary = (bounded(known.where(F.col("y") == y), MAX_DOCS) for y in (1, 0))
     sample = store(toxic.unionByName(ordinary), "sample")
     table = store(stem_table(docs, sample), "stems")
@@ -110,25 +117,29 @@ def dictionaries(docs: DataFrame, known: DataFrame) -> tuple[bytes, bytes]:
         return [r.stem for r in table.where(where).orderBy(order, F.length("stem").desc(), "stem").limit(n).collect()]
 
     rank = F.round("z", 1)
-    sides = []
-    for sign in (1, -1):
-        best = table.agg(F.max(F.col("z") * sign)).first()[0] or 0.0
-        least = max(LEAST_Z, LEAST_SHARE * best)
-        sides.append(_different(top((rank * sign).desc(), F.col("z") * sign > least, CANDIDATES), ONE_SIDED))
+
+    def one_sided(sign: int, least: float) -> list[str]:
+        return _different(top((rank * sign).desc(), F.col("z") * sign > least, CANDIDATES), ONE_SIDED)
+
+    best = [table.agg(F.max(F.col("z") * sign)).first()[0] or 0.0 for sign in (1, -1)]
+    bars = [max(LEVELS[0], LEAST_SHARE * best[0]), *LEVELS[1:]]
+    sides = [one_sided(1, bar) for bar in bars] + [one_sided(-1, max(LEVELS[0], LEAST_SHARE * best[1]))]
     size = max(len("".join(own)) for own in sides)
     # texts are in lower case, so capitals fill a dictionary up without matching
     fill = "".join(hashlib.sha256(bytes([k % 256, k // 256])).hexdigest().upper() for k in range(size // 64 + 1))
     whole = F.col("stem").endswith(" ")
-    base = top((a + b).desc(), whole & (F.abs("z") < LEAST_Z), COMMON)
+    base = top((a + b).desc(), whole & (F.abs("z") < LEVELS[0]), COMMON)
     # the end of a dictionary is the cheapest to refer to: the best stems stand last
-    filled = ("".join([fill[: size - len("".join(own))], *own[::-1]]) for own in sides)
-    return tuple(("".join(base[::-1]) + own).encode() for own in filled)
+    filled = ["".join([fill[: size - len("".join(own))], *own[::-1]]) for own in sides]
+    contents = [("".join(base[::-1]) + own).encode() for own in filled]
+    return contents[:-1], contents[-1]
 
 
 class Gains(dict):
-    """Gain of each word (bytes, in lower case) for two dictionary contents."""
+    """Number of each word (bytes, in lower case) in ``table``, whose rows are the gains of
+    words by each toxic dictionary; words of equal gains share a row."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
+    def __init__(self, toxic: list[bytes], ordinary: bytes):
         super().__init__()
 
         def compressor(content: bytes):
@@ -138,28 +149,40 @@ class Gains(dict):
             )
             return zstandard.ZstdCompressor(dict_data=own, compression_params=params)
 
-        self.toxic, self.ordinary = compressor(toxic), compressor(ordinary)
+        self.toxic, self.ordinary = [compressor(t) for t in toxic], compressor(ordinary)
+        self.rows: dict[tuple[int, ...], int] = {}
+        self.table = np.zeros((0, len(toxic)), np.int64)
+
+    def gain(self, word: bytes) -> tuple[int, ...]:
+        window = b" " + word + b" " + TAIL
+        plain = len(self.ordinary.compress(window))
+        return tuple(plain - len(t.compress(window)) for t in self.toxic)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE:
             self.clear()
-        window = b" " + word + b" " + TAIL
-        self[word] = gain = len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
-        return gain
-
-    def of(self, text: str | None) -> list[int]:
-        return list(map(self.__getitem__, (text or "").lower().encode("utf-8", "surrogatepass").split()))
-
-
-def summary(gains: list[int]) -> list[float]:
-    """Largest gain; for each threshold, log of the count and root of the share of windows."""
-    if not gains:
-        return [0.0] * (1 + 2 * len(THRESHOLDS))
-    g = np.array(gains)
-    out = [float(g.max())]
-    for t in THRESHOLDS:
-        n = int((g >= t).sum())
-        out += [float(np.log1p(n)), 10 * float(np.sqrt(n / len(g)))]
+        self[word] = row = self.rows.setdefault(self.gain(word), len(self.rows))
+        return row
+
+    def of(self, text: str | None) -> np.ndarray:
+        """A row of gains for each window of a text."""
+        rows = list(map(self.__getitem__, (text or "").lower().encode("utf-8", "surrogatepass").split()))
+        if len(self.rows) > len(self.table):
+            self.table = np.array(list(self.rows), np.int64).reshape(len(self.rows), -1)
+        return self.table[rows]
+
+
+def summary(gains: np.ndarray) -> list[float]:
+    """For each dictionary the largest gain and, for each threshold, log of the count and root
+    of the share of windows."""
+    if not len(gains):
+        return [0.0] * (gains.shape[1] * PER_LEVEL)
+    out = []
+    for g in gains.T:
+        out.append(float(g.max()))
+        for t in THRESHOLDS:
+            n = int((g >= t).sum())
+            out += [float(np.log1p(n)), 10 * float(np.sqrt(n / len(g)))]
     return out
 
 
@@ -192,7 +215,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, in_training,
 
     table = store(docs.mapInArrow(run, "doc_id long, x array<double>"), "gains")
     rows = bounded(table.join(known, "doc_id"), MAX_TRAIN).collect()
-    w = calibrate(np.array([r.x for r in rows]).reshape(-1, 1 + 2 * len(THRESHOLDS)), np.array([r.y for r in rows], np.float64))
+    w = calibrate(np.array([r.x for r in rows]).reshape(-1, len(LEVELS) * PER_LEVEL), np.array([r.y for r in rows], np.float64))
     logit = F.lit(float(w[-1]))
     for i, v in enumerate(w[:-1]):
         logit = logit + F.col("x")[i] * float(v)
