@@ -2,6 +2,9 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from tessella.llm import stupid_backoff as sb
 
 
@@ -64,3 +67,46 @@ def test_names_that_begin_alike_are_told_apart(spark):
             break
         seen[top] = word
     check(spark, [(1, f"{word} x"), (2, f"{seen[top]} y"), (3, word)])
+
+
+def test_rows_of_one_chunk_in_several_portions(spark):
+    rng = np.random.default_rng(5)
+    long = " ".join(f"word{i}" for i in rng.integers(0, 3000, 600_000))
+    assert len(long) > sb.PORTION_BYTES
+    check(spark, [(1, long), (1, long), (1, long), (2, long[:90_000]), (3, None)])
+
+
+def test_packed_lists():
+    rng = np.random.default_rng(6)
+    for bits in (3, 12):
+        names = np.unique(rng.integers(0, 2**64, 50_000, dtype=np.uint64))
+        rows = sb._buckets(names, bits)
+        assert [b for b, _, _ in rows] == sorted({int(n) >> 64 - bits for n in names})
+        got = [sb._unpack(sb._pack(names[x:y], b << 64 - bits), b << 64 - bits) for b, x, y in rows]
+        assert (np.concatenate(got) == names).all()
+    for base, own in ((0, [0]), (5 << 61, [5 << 61]), (7 << 61, [2**64 - 1]), (0, [1, 2, 3])):
+        own = np.array(own, np.uint64)
+        assert (sb._unpack(sb._pack(own, base), base) == own).all()
+    for counts in ([1], [1] * 9, [255, 256, 1, 2**40, 2], rng.integers(1, 600, 1000)):
+        counts = np.array(counts, np.int64)
+        assert (sb._read_counts(sb._counts(counts), len(counts)) == counts).all()
+    assert sb._buckets(np.zeros(0, np.uint64), 3) == []
+
+
+def test_merged_lists():
+    rng = np.random.default_rng(7)
+    lists = [np.unique(rng.integers(0, 500, n).astype(np.uint64)) for n in (0, 300, 40, 300)]
+    names, sums, back = sb._merged(lists, [np.full(len(x), k, np.int64) for k, x in enumerate(lists)])
+    want = Counter()
+    for k, x in enumerate(lists):
+        want.update({int(v): k for v in x})
+    assert dict(zip(names.tolist(), sums.tolist(), strict=True)) == dict(want)
+    assert (names[back] == np.concatenate(lists)).all()
+
+
+def test_portions_hold_every_text():
+    texts = ["a" * 3_000_000, None, "", "b" * 9_000_000, "c", "d" * 2_000_000]
+    for table in (pa.chunked_array([texts]), pa.chunked_array([texts[:2], [], texts[2:]], pa.string())):
+        parts = list(sb._portions(table))
+        assert [t for p in parts for t in p.to_pylist()] == texts and len(parts) > 1
+    assert list(sb._portions(pa.chunked_array([], pa.string()))) == []
